@@ -10,7 +10,7 @@ def spark():
     return SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
 
 
-@pytest.mark.parametrize("name", list(e.queries()))
+@pytest.mark.parametrize("name", list(e.oracle_sql()))
 def test_oracle(spark, name):
     c = duckdb.connect()
     for t in ("documents", "repos", "postings"):
