@@ -13,7 +13,7 @@ ISSUER = re.compile(r"\b(?:ghp_[A-Za-z0-9]{36}|npm_[A-Za-z0-9]{36}|sk_live_[A-Za
 BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
 VALUE = re.compile(
     r"""(?ix)
-    \b\w*(?:passw(?:or)?d|passphrase|_pass|pwd|_pw|secret|token|(?:api|signing|account|access|secret|x-api)[_-]?key)\w*["']?\s*(?::=|=|:)\s*["']?(?P<a>[^\s"';,(){}<>$]{8,}[$!?]?)
+    \b\w*(?:passw(?:or)?d|passphrase|_pass|pwd|_pw|secret|token|(?:api|signing|account|access|secret|x-api)[_-]?key)\w*["']?\s*(?::=|=|:)\s*["']?(?P<a>(?!:)[^\s"';,(){}\[\]<>$]{8,}+[$!?]?)(?![(\[]|\))
     | \bauthorization["']?\]?\s*[:=]\s*["']?(?:basic|bearer|token)\s+(?P<b>[\w+/=.-]{16,})
     | ://[^\s/:@"']+:(?P<c>[^\s/@"'${}]{6,})@
     | (?:^|\s)(?:-u|--user)\s+[^\s:]+:(?P<d>\S{6,})
