@@ -16,5 +16,5 @@ def test_oracle(spark, name):
     for t in ("documents", "repos", "postings"):
         c.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
     df = e.queries()[name](spark, D)
-    want = c.execute(f"select {','.join(df.columns)} from ({e.oracle_sql()[name]})").fetchall()
+    want = c.execute(f"select {','.join(f'"{x}"' for x in df.columns)} from ({e.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
