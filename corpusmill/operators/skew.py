@@ -22,14 +22,25 @@ def keyed_quantile(df: DataFrame, key: str, value: str, q: float) -> DataFrame:
     return state.select(F.col("_k").alias(key), F.col("_n").alias("rows"), F.col("_lo").alias("quantile"))
 
 
-def p6_key_medians(spark, d):
+def p6_keys(spark, df):
+    """Rows and median number of ids per trigram; a null list counts as empty."""
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    df = spark.read.parquet(f"{d}/postings.parquet").withColumn("n_ids", F.when(F.col("doc_ids").isNotNull(), F.size("doc_ids")))
+    df = df.withColumn("n_ids", F.when(F.col("doc_ids").isNull(), 0).otherwise(F.size("doc_ids")))
     return keyed_quantile(df, "trigram", "n_ids", 0.5)
 
 
-QUERIES = {"p6_key_medians": p6_key_medians}
-SQL = {"p6_key_medians": """WITH t AS (SELECT trigram, len(doc_ids) AS v, row_number() OVER (PARTITION BY trigram ORDER BY len(doc_ids)) AS i, count(*) OVER (PARTITION BY trigram) AS n FROM postings WHERE trigram IS NOT NULL AND doc_ids IS NOT NULL) SELECT trigram, n AS "rows", v AS quantile FROM t WHERE i = (n + 1) // 2"""}
+def p6_key_medians(spark, d):
+    return p6_keys(spark, spark.read.parquet(f"{d}/postings.parquet"))
+
+
+def p6_found(spark, d):
+    df = spark.read.parquet(f"{d}/postings.parquet")
+    total = df.count()
+    return p6_keys(spark, df).where(F.col("rows") >= total * 0.02).select("trigram")
+
+
+QUERIES = {"p6_found": p6_found, "p6_key_medians": p6_key_medians}
+SQL = {"p6_key_medians": """WITH t AS (SELECT trigram, coalesce(len(doc_ids), 0) AS v, row_number() OVER (PARTITION BY trigram ORDER BY coalesce(len(doc_ids), 0)) AS i, count(*) OVER (PARTITION BY trigram) AS n FROM postings WHERE trigram IS NOT NULL) SELECT trigram, n AS "rows", v AS quantile FROM t WHERE i = (n + 1) // 2"""}
