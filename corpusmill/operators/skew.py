@@ -27,7 +27,7 @@ def p6_keys(spark, df):
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     df = df.withColumn("n_ids", F.when(F.col("doc_ids").isNull(), 0).otherwise(F.size("doc_ids")))
     return keyed_quantile(df, "trigram", "n_ids", 0.5)
 
