@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 # Prefilter words.
-WORDS = ("pass", "pwd", "_pw", "secret", "token", "key", "auth", "bearer", "jwt", "begin ", "://", "ghp_", "npm_", "sk_live_", "sg.", "akia", "asia", "-u ", "--user ", "login", "connect(", "hooks.", "eyj")
-ISSUER = re.compile(r"\b(?:ghp_[A-Za-z0-9]{36}|npm_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|SG\.[\w-]{16,}\.[\w-]{30,}|(?:AKIA|ASIA)[A-Z0-9]{16}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})")
+WORDS = ("pass", "pwd", "_pw", "secret", "token", "key", "auth", "bearer", "jwt", "begin ", "://", "ghp_", "npm_", "sk_live_", "sg.", "akia", "asia", "glpat-", "xox", "aiza", "_pat_", "-u ", "--user ", "login", "connect(", "hooks.", "eyj")
+ISSUER = re.compile(r"\b(?:ghp_[A-Za-z0-9]{36}|npm_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|SG\.[\w-]{16,}\.[\w-]{30,}|(?:AKIA|ASIA)[A-Z0-9]{16}|glpat-[\w-]{20,}|xox[a-z]-[A-Za-z0-9-]{20,}|AIza[\w-]{35}|[a-z][a-z0-9]+_pat_(?=\w*\d)(?:[a-f0-9]{32,}|[A-Za-z0-9]{22,}(?:_[A-Za-z0-9]{20,})?)|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})")
+# Issuers not named above: prefix, separator and a body of both cases and digits. It has no word to prefilter by and is searched in every text.
+GENERAL = re.compile(r"(?<![\w+/=.-])(?!(?i:sha|md)\d)[A-Za-z][A-Za-z0-9]{1,9}(?:_[a-z]{2,6})?[_-](?=[a-z0-9]*[A-Z])(?=[A-Z0-9]*[a-z])(?=[A-Za-z]*\d)[A-Za-z0-9]{20,}(?![\w+/=-])")
 BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
 VALUE = re.compile(
     r"""(?ix)
@@ -31,9 +33,12 @@ def looks_secret(v: str) -> bool:
 
 def spans(text, automaton):
     """Start and end of each secret, in order, without overlap."""
-    if not text or next(automaton.iter(text.lower()), None) is None:
+    if not text:
         return []
-    out = [m.span() for m in BLOCK.finditer(text)] + [m.span() for m in ISSUER.finditer(text)]
+    out = [m.span() for m in GENERAL.finditer(text)]
+    if not out and next(automaton.iter(text.lower()), None) is None:
+        return []
+    out += [m.span() for m in BLOCK.finditer(text)] + [m.span() for m in ISSUER.finditer(text) if len(set(m[0])) >= 9]
     at = 0
     for line in text.split("\n"):
         for m in VALUE.finditer(line):
