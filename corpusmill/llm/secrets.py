@@ -13,17 +13,58 @@ ISSUER = re.compile(r"\b(?:ghp_[A-Za-z0-9]{36}|npm_[A-Za-z0-9]{36}|sk_live_[A-Za
 # Issuers not named above: prefix, separator and a body of both cases and digits. It has no word to prefilter by and is searched in every text.
 GENERAL = re.compile(r"(?<![\w+/=.-])(?!(?i:sha|md)\d)[A-Za-z][A-Za-z0-9]{1,9}(?:_[a-z]{2,6})?[_-](?=[a-z0-9]*[A-Z])(?=[A-Z0-9]*[a-z])(?=[A-Za-z]*\d)[A-Za-z0-9]{20,}(?![\w+/=-])")
 BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
+NAMES = r"passw(?:or)?d|passphrase|_pass|pwd|_pw|secret|token|(?:api|signing|account|access|secret|x-api)[_-]?key"
 VALUE = re.compile(
     r"""(?ix)
-    \b\w*(?:passw(?:or)?d|passphrase|_pass|pwd|_pw|secret|token|(?:api|signing|account|access|secret|x-api)[_-]?key)\w*["']?\s*(?::=|=|:)\s*["']?(?P<a>(?!:)[^\s"';,(){}\[\]<>$]{8,}+[$!?]?)(?![(\[]|\))
+    \b\w*(?:NAMES)\w*["']?\s*(?::=|=|:)\s*["']?(?P<a>(?!:)[^\s"';,(){}\[\]<>$]{8,}+[$!?]?)(?![(\[]|\))
     | \bauthorization["']?\]?\s*[:=]\s*["']?(?:basic|bearer|token)\s+(?P<b>[\w+/=.-]{16,})
+    | \b\w*(?:NAMES)\w*["']?\s*(?::=|=|:)\s*["'](?P<j>[^\s"';,(){}\[\]<>$]{1,7})["']\s*(?:\\$|\+|\.\.?|&|<>)
     | ://[^\s/:@"']+:(?P<c>[^\s/@"'${}]{6,})@
     | (?:^|\s)(?:-u|--user)\s+[^\s:]+:(?P<d>\S{6,})
     | \b(?:login|connect|authenticate|set_password)\(\s*["'][^"']*["']\s*,\s*["'](?P<e>[^"']{8,})["']
     | \blogin\ for\ .{1,40}\ is\ \S+\ /\ (?P<f>\S{6,})
-    | \bhttps?://hooks\.[^\s/]+/services/(?P<g>[\w/]{20,})"""
+    | \bhttps?://hooks\.[^\s/]+/services/(?P<g>[\w/]{20,})""".replace("NAMES", NAMES)
 )
 
+MORE = re.compile(r"""["'](?:\s*(?:\+|\.\.?|&|<>|\\)\s*|[ \t]+)["']([\w+/=.!@#%^&*-]+)(?=["'])""")
+NO_SECRET = re.compile(r"(?i)your|example|xxxx|\*\*\*|environ|getenv|process\.env|change_?me|placeholder|redacted|dummy|insert_?|replace_?|pass(?:word|wd|phrase)?$|(?:secret|token|pwd|key|user|name)$")
+
+
+def looks_random(v: str) -> bool:
+    """Letters of both cases that don't read as an identifier of words: short humps, some of them without a vowel or all capitals."""
+    humps = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", v)
+    odd = any(len(h) > 1 and (h.isupper() or not re.search("(?i)[aeiouy]", h)) for h in humps)
+    return v.isalpha() and not v.islower() and not v.isupper() and len(humps) > 2 and odd and len(v) < 5 * len(humps)
+
+
+def letters_only(v: str) -> bool:
+    """A password of letters in both cases; names of fields and other placeholders fail."""
+    return v.isalpha() and not v.islower() and not v.isupper() and len(set(v)) >= 6 and not NO_SECRET.search(v)
+
+
+def joined(text: str, end: int) -> tuple[str, int]:
+    """The further pieces of a literal whose first one ends here, as one text, and where they end."""
+    v = ""
+    while m := MORE.match(text, end):
+        v, end = v + m[1], m.end(1)
+    return v, end
+
+
+def is_secret(kind: str, v: str, text: str, start: int, end: int) -> bool:
+    """Judges a value in its place: a piece together with the pieces that follow."""
+    if kind == "b" or kind != "j" and looks_secret(v):
+        return True
+    if kind == "c":
+        return letters_only(v)
+    if kind not in "aj":
+        return False
+    more, _ = joined(text, end)
+    if more and "://" not in v + more:
+        return len(v + more) >= 8 and (looks_secret(v + more) or looks_random(v + more) and letters_only(v + more))
+    quoted = text[start - 1] in "\"'" and text[end : end + 1] == text[start - 1]
+    setting = len(v) >= 16 and text[start - 1] == "=" and text[end : end + 1] in ("", "\r", "\n")
+    return kind == "a" and (quoted or setting) and looks_random(v) and letters_only(v)
+
 
 def looks_secret(v: str) -> bool:
     """Mixed classes and enough distinct characters; masks, placeholders and plain identifiers fail."""
@@ -43,7 +84,7 @@ def spans(text, automaton):
     for line in text.split("\n"):
         for m in VALUE.finditer(line):
             k = m.lastgroup
-            if k == "b" or looks_secret(m[k]):
+            if is_secret(k, m[k], text, at + m.start(k), at + m.end(k)):
                 out.append((at + m.start(k), at + m.end(k)))
         at += len(line) + 1
     kept, end = [], -1

@@ -18,3 +18,20 @@ def test_issuers_without_name(v):
 @pytest.mark.parametrize("v", ["glpat-xxxxxxxxxxxxxxxxxxxx", "e886afe0-cebe-4f88-a401-f6bd5b91b622", "sha256-8KEKOnBkjhd7MFjwVa39xQ8KEKOnBkjhd7MFjwVa39x=", "build_from_another_long_name_2"])
 def test_no_issuer(v):
     assert found(f'client(ring, "{v}")\n') == []
+
+
+@pytest.mark.parametrize("t, v", [
+    ('dsn = "redis://cipher:XSYbSWBqgyG@cipher.example:8139/relay"', "XSYbSWBqgyG"),
+    ('secret = "TwXCXakthKxG" + "Kzi7r1sK6KyyNN"', "TwXCXakthKxG"),
+    ('auth_token = "LtaUSUNuHoXA" \\\n    "o4TqzpjB5uD3iUOV"', "LtaUSUNuHoXA"),
+    ('token = "aBq" + "Zk4Tr9" + "Wm2x"', "aBq"),
+    ('password: "QvTRmGNwzlJkHd"', "QvTRmGNwzlJkHd"),
+    ("export JOURNAL_SECRET=PTVeJOSqfFhkJIkDMpkNWEylFZFa", "PTVeJOSqfFhkJIkDMpkNWEylFZFa"),
+])
+def test_letters_and_pieces(t, v):
+    assert found(t + "\n") == [v]
+
+
+@pytest.mark.parametrize("t", ['dsn = "redis://cipher:yourPassword@cipher.example/1"', 'dsn = "redis://cipher:${DB_PASS}@cipher.example/1"', 'dsn = "redis://app:dbPassword@cipher.example/1"', 'token_name = "getUserIdById"', 'password_field = "currentPassword"', 'token_url = "https://api" + "/v2/token"', '"Token": "chunk",\n"x"'])
+def test_no_letters_or_pieces(t):
+    assert found(t + "\n") == []
