@@ -7,8 +7,8 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
-# Prefilter words.
-WORDS = ("pass", "pwd", "_pw", "secret", "token", "key", "auth", "bearer", "jwt", "begin ", "://", "ghp_", "npm_", "sk_live_", "sg.", "akia", "asia", "glpat-", "xox", "aiza", "_pat_", "-u ", "--user ", "login", "connect(", "hooks.", "eyj")
+# Prefilter words; each alternative of VALUE needs one of them on its line.
+WORDS = ("pass", "pwd", "_pw", "secret", "token", "key", "auth", "bearer", "jwt", "begin ", "://", "ghp_", "npm_", "sk_live_", "sg.", "akia", "asia", "glpat-", "xox", "aiza", "_pat_", "-u", "--user", "login", "connect(", "connection", "connstr", "conn_str", "conn-str", "hooks.", "eyj")
 ISSUER = re.compile(r"\b(?:ghp_[A-Za-z0-9]{36}|npm_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|SG\.[\w-]{16,}\.[\w-]{30,}|(?:AKIA|ASIA)[A-Z0-9]{16}|glpat-[\w-]{20,}|xox[a-z]-[A-Za-z0-9-]{20,}|AIza[\w-]{35}|[a-z][a-z0-9]+_pat_(?=\w*\d)(?:[a-f0-9]{32,}|[A-Za-z0-9]{22,}(?:_[A-Za-z0-9]{20,})?)|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})")
 # Issuers not named above: prefix, separator and a body of both cases and digits. It has no word to prefilter by and is searched in every text.
 GENERAL = re.compile(r"(?<![\w+/=.-])(?!(?i:sha|md)\d)[A-Za-z][A-Za-z0-9]{1,9}(?:_[a-z]{2,6})?[_-](?=[a-z0-9]*[A-Z])(?=[A-Z0-9]*[a-z])(?=[A-Za-z]*\d)[A-Za-z0-9]{20,}(?![\w+/=-])")
@@ -19,6 +19,7 @@ VALUE = re.compile(
     \b\w*(?:NAMES)\w*["']?\s*(?::=|=|:)\s*["']?(?P<a>(?!:)[^\s"';,(){}\[\]<>$]{8,}+[$!?]?)(?![(\[]|\))
     | \bauthorization["']?\]?\s*[:=]\s*["']?(?:basic|bearer|token)\s+(?P<b>[\w+/=.-]{16,})
     | \b\w*(?:NAMES)\w*["']?\s*(?::=|=|:)\s*["'](?P<j>[^\s"';,(){}\[\]<>$]{1,7})["']\s*(?:\\$|\+|\.\.?|&|<>)
+    | \b\w*(?:connection|conn)[_-]?str(?:ing)?\w*["']?\]?\s*(?::=|=|:)\s*["']?(?P<h>[a-z0-9+/_-]{32,}={0,2})(?![\w+/=.-])
     | ://[^\s/:@"']+:(?P<c>[^\s/@"'${}]{6,})@
     | (?:^|\s)(?:-u|--user)\s+[^\s:]+:(?P<d>\S{6,})
     | \b(?:login|connect|authenticate|set_password)\(\s*["'][^"']*["']\s*,\s*["'](?P<e>[^"']{8,})["']
@@ -82,7 +83,7 @@ def spans(text, automaton):
     out += [m.span() for m in BLOCK.finditer(text)] + [m.span() for m in ISSUER.finditer(text) if len(set(m[0])) >= 9]
     at = 0
     for line in text.split("\n"):
-        for m in VALUE.finditer(line):
+        for m in VALUE.finditer(line) if next(automaton.iter(line.lower()), None) is not None else ():
             k = m.lastgroup
             if is_secret(k, m[k], text, at + m.start(k), at + m.end(k)):
                 out.append((at + m.start(k), at + m.end(k)))

@@ -35,3 +35,14 @@ def test_letters_and_pieces(t, v):
 @pytest.mark.parametrize("t", ['dsn = "redis://cipher:yourPassword@cipher.example/1"', 'dsn = "redis://cipher:${DB_PASS}@cipher.example/1"', 'dsn = "redis://app:dbPassword@cipher.example/1"', 'token_name = "getUserIdById"', 'password_field = "currentPassword"', 'token_url = "https://api" + "/v2/token"', '"Token": "chunk",\n"x"'])
 def test_no_letters_or_pieces(t):
     assert found(t + "\n") == []
+
+
+@pytest.mark.parametrize("name", ["connectionString", "connection_string", "storageConnectionStr"])
+def test_connection_string(name):
+    v = "PoBHjmg2ddmE8HEYpJdP9+AGjLU5DOI5tDmRnZxa"
+    assert found(f'  "{name}": "{v}",\n') == [v]
+
+
+@pytest.mark.parametrize("t", ['"connectionString": "Server=db.example;Trusted=yes"', '"integrity": "PoBHjmg2ddmE8HEYpJdP9+AGjLU5DOI5tDmRnZxa"', '"connectionString": "${STORAGE_CONNECTION_STRING_FROM_ENVIRONMENT}"'])
+def test_no_connection_string(t):
+    assert found(t + "\n") == []
