@@ -22,12 +22,16 @@ def keyed_quantile(df: DataFrame, key: str, value: str, q: float) -> DataFrame:
     return state.select(F.col("_k").alias(key), F.col("_n").alias("rows"), F.col("_lo").alias("quantile"))
 
 
-def p6_keys(spark, df):
-    """Rows and median number of ids per trigram; a null list counts as empty."""
+def checkpoints(spark):
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+
+
+def p6_keys(spark, df):
+    """Rows and median number of ids per trigram; a null list counts as empty."""
+    checkpoints(spark)
     df = df.withColumn("n_ids", F.when(F.col("doc_ids").isNull(), 0).otherwise(F.size("doc_ids")))
     return keyed_quantile(df, "trigram", "n_ids", 0.5)
 
@@ -36,11 +40,27 @@ def p6_key_medians(spark, d):
     return p6_keys(spark, spark.read.parquet(f"{d}/postings.parquet"))
 
 
+def distinct_postings(postings: DataFrame, documents: DataFrame) -> DataFrame:
+    """(trigram, n_ids): one row a posting with its number of distinct ids that documents has. Of a repeated posting_id the earliest row counts, of null ones each; a null list counts as empty."""
+    lone = F.when(F.col("posting_id").isNull(), F.monotonically_increasing_id())
+    rows = postings.withColumn("_lone", lone).groupBy("posting_id", "_lone").agg(F.min(F.struct("written_at", "trigram", "doc_ids")).alias("_p"))
+    ids = rows.select("posting_id", "_lone", "_p.trigram", F.explode_outer(F.array_distinct("_p.doc_ids")).alias("doc_id"))
+    known = documents.select("doc_id").distinct().withColumn("_known", F.lit(1))
+    return ids.join(known, "doc_id", "left").groupBy("posting_id", "_lone", "trigram").agg(F.count("_known").alias("n_ids")).select("trigram", "n_ids")
+
+
+def p6_distinct_medians(spark, d):
+    """p6_key_medians over distinct postings and existing document ids, as problem 6 asks."""
+    checkpoints(spark)
+    df = distinct_postings(spark.read.parquet(f"{d}/postings.parquet"), spark.read.parquet(f"{d}/documents.parquet"))
+    return keyed_quantile(df.checkpoint(), "trigram", "n_ids", 0.5)
+
+
 def p6_found(spark, d):
     df = spark.read.parquet(f"{d}/postings.parquet")
     total = df.count()
     return p6_keys(spark, df).where(F.col("rows") >= total * 0.02).select("trigram")
 
 
-QUERIES = {"p6_found": p6_found, "p6_key_medians": p6_key_medians}
-SQL = {"p6_key_medians": """WITH t AS (SELECT trigram, coalesce(len(doc_ids), 0) AS v, row_number() OVER (PARTITION BY trigram ORDER BY coalesce(len(doc_ids), 0)) AS i, count(*) OVER (PARTITION BY trigram) AS n FROM postings WHERE trigram IS NOT NULL) SELECT trigram, n AS "rows", v AS quantile FROM t WHERE i = (n + 1) // 2"""}
+QUERIES = {"p6_found": p6_found, "p6_key_medians": p6_key_medians, "p6_distinct_medians": p6_distinct_medians}
+SQL = {"p6_key_medians": """WITH t AS (SELECT trigram, coalesce(len(doc_ids), 0) AS v, row_number() OVER (PARTITION BY trigram ORDER BY coalesce(len(doc_ids), 0)) AS i, count(*) OVER (PARTITION BY trigram) AS n FROM postings WHERE trigram IS NOT NULL) SELECT trigram, n AS "rows", v AS quantile FROM t WHERE i = (n + 1) // 2""", "p6_distinct_medians": """WITH k AS MATERIALIZED (SELECT row_number() OVER () AS p, trigram, doc_ids FROM (SELECT *, row_number() OVER (PARTITION BY posting_id ORDER BY written_at NULLS FIRST, trigram NULLS FIRST, doc_ids NULLS FIRST) AS i FROM postings) WHERE (i = 1 OR posting_id IS NULL) AND trigram IS NOT NULL), v AS (SELECT k.p, k.trigram, count(DISTINCT d.doc_id) AS v FROM k LEFT JOIN (SELECT p, unnest(doc_ids) AS id FROM k) u ON u.p = k.p LEFT JOIN documents d ON d.doc_id = u.id GROUP BY ALL), t AS (SELECT trigram, v, row_number() OVER (PARTITION BY trigram ORDER BY v) AS i, count(*) OVER (PARTITION BY trigram) AS n FROM v) SELECT trigram, n AS "rows", v AS quantile FROM t WHERE i = (n + 1) // 2"""}
