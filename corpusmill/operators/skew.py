@@ -1,4 +1,4 @@
-"""Exact per-key quantiles without gathering a key's values in one place.
+"""Exact per-key quantiles without gathering a key's rows in one place: they are counted by value first, so at most its different values meet.
 
 Null keys or values are left out; an empty input gives no rows; the result has only the columns named here.
 """
@@ -8,15 +8,16 @@ BINS = 256
 
 
 def keyed_quantile(df: DataFrame, key: str, value: str, q: float) -> DataFrame:
-    """(key, rows, quantile) of integer values: the value at rank ceil(q * rows), found by narrowing a histogram of BINS mergeable counts per key until each bin is one value."""
+    """(key, rows, quantile) of integer values: the value at rank ceil(q * rows), found by narrowing a histogram of BINS mergeable counts per key until each bin is one value. rows is a sum of pre-aggregated counts, not a result of the histogram."""
     data = df.select(F.col(key).alias("_k"), F.col(value).cast("long").alias("_v")).where("_k is not null and _v is not null")
-    state = data.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    data = data.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_m")).checkpoint()  # spread by key and value: a hot key has one row a value
+    state = data.groupBy("_k").agg(F.sum("_m").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     state = state.withColumn("_r", F.greatest(F.lit(1), F.ceil(F.col("_n") * q))).checkpoint()
     by = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)  # at most BINS rows a key
     while state.where("_hi > _lo").limit(1).count():
         width = F.expr(f"(_hi - _lo) div {BINS} + 1")
         hist = data.join(state, "_k").where("_v between _lo and _hi").withColumn("_w", width).withColumn("_b", F.expr("(_v - _lo) div _w"))
-        hist = hist.groupBy("_k", "_n", "_r", "_lo", "_hi", "_w", "_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_s", F.sum("_c").over(by))
+        hist = hist.groupBy("_k", "_n", "_r", "_lo", "_hi", "_w", "_b").agg(F.sum("_m").alias("_c")).withColumn("_s", F.sum("_c").over(by))
         hist = hist.where("_s >= _r and _s - _c < _r")
         state = hist.select("_k", "_n", F.expr("_lo + _b * _w").alias("_lo2"), F.expr("least(_hi, _lo + (_b + 1) * _w - 1)").alias("_hi"), F.expr("_r - (_s - _c)").alias("_r")).withColumnRenamed("_lo2", "_lo").checkpoint()
     return state.select(F.col("_k").alias(key), F.col("_n").alias("rows"), F.col("_lo").alias("quantile"))
@@ -53,7 +54,7 @@ def p6_distinct_medians(spark, d):
     """p6_key_medians over distinct postings and existing document ids, as problem 6 asks."""
     checkpoints(spark)
     df = distinct_postings(spark.read.parquet(f"{d}/postings.parquet"), spark.read.parquet(f"{d}/documents.parquet"))
-    return keyed_quantile(df.checkpoint(), "trigram", "n_ids", 0.5)
+    return keyed_quantile(df, "trigram", "n_ids", 0.5)
 
 
 def p6_found(spark, d):

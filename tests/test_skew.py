@@ -15,3 +15,13 @@ def test_distinct_medians(spark, tmp_path):
     spark.createDataFrame(rows, "posting_id long, trigram string, doc_ids array<long>, written_at string").write.parquet(f"{tmp_path}/postings.parquet")
     spark.createDataFrame([(1,), (2,), (3,)], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, e.queries()["p6_distinct_medians"](spark, str(tmp_path)).collect())) == [("abc", 3, 1), ("xyz", 3, 1)]
+
+
+def test_values_are_counted_before_the_join(spark, tmp_path, monkeypatch):
+    from corpusmill.operators import skew
+    skew.checkpoints(spark)
+    df = spark.createDataFrame([("hot", i % 3) for i in range(300)] + [("a", 5)], "k string, v long")
+    joined, join = [], type(df).join
+    monkeypatch.setattr(type(df), "join", lambda a, *x, **y: joined.append(a.count()) or join(a, *x, **y))
+    assert sorted(map(tuple, skew.keyed_quantile(df, "k", "v", 0.5).collect())) == [("a", 1, 5), ("hot", 300, 1)]
+    assert joined and max(joined) == 4
