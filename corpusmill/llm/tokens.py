@@ -1,6 +1,6 @@
 """Corpus encoding through a distinct-word table.
 
-Null and empty texts have an empty id list; blank texts are encoded as they are. Document ids are taken as unique.
+Null and empty texts have an empty id list; blank texts are encoded as they are. Each row has its own result, also where document ids repeat or are null.
 """
 import base64
 
@@ -25,15 +25,33 @@ def encode(docs, path):
         for b in batches:
             yield pd.DataFrame({"word": b.word, "word_ids": [e.encode_ordinary(w) for w in b.word]})
 
-    words = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "word"))
-    table = words.select("word").distinct().mapInPandas(run, "word string, word_ids array<int>")
-    got = words.join(table, "word").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word_ids"))).alias("w"))
-    got = got.select("doc_id", F.flatten("w.word_ids").alias("ids"))
-    return docs.select("doc_id").join(got, "doc_id", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    words = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()).select("_row", "doc_id", F.posexplode_outer(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "word"))
+    words = words.withColumn("doc_id", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("doc_id")))  # once a row
+    table = words.select("word").where("word is not null").distinct().mapInPandas(run, "word string, word_ids array<int>")
+    got = words.join(table, "word", "left").groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("pos", F.coalesce("word_ids", F.array().cast("array<int>")).alias("word_ids")))).alias("w"))
+    return got.select("doc_id", F.flatten("w.word_ids").alias("ids"))
+
+
+def decode(encoded, path):
+    """(doc_id, ids) to (doc_id, text) by a join with the id-to-piece table of path (fixed size); an unknown id is an error, an empty list is an empty text."""
+    with open(path, "rb") as f:
+        pieces = [(int(b), base64.b64decode(a).hex()) for a, b in map(bytes.split, f.read().splitlines())]
+    table = encoded.sparkSession.createDataFrame(pd.DataFrame(pieces, columns=["id", "piece"]), "id int, piece string")
+    ids = encoded.withColumn("_row", F.monotonically_increasing_id()).select("_row", "doc_id", F.posexplode_outer("ids").alias("pos", "id"))
+    ids = ids.withColumn("doc_id", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("doc_id")))
+    piece = F.when(F.col("piece").isNotNull() | F.col("pos").isNull(), F.col("piece")).otherwise(F.raise_error(F.lit("no piece for an id")).cast("string"))
+    got = ids.join(F.broadcast(table), "id", "left").select("_row", "doc_id", F.struct("pos", piece.alias("piece")).alias("w"))
+    got = got.groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.collect_list("w")).alias("w"))
+    return got.select("doc_id", F.unhex(F.array_join("w.piece", "")).cast("string").alias("text"))  # joined before decoding: a piece may end within a character
 
 
 def p7_ids(spark, d, path="/opt/tokenizers/byte_bpe_50k.tiktoken"):
     return encode(spark.read.parquet(f"{d}/documents.parquet"), path)
 
 
-QUERIES = {"p7_ids": p7_ids}
+def p7_text(spark, d, path="/opt/tokenizers/byte_bpe_50k.tiktoken"):
+    """The round trip: every document's text from its ids; null texts come back empty."""
+    return decode(p7_ids(spark, d, path), path)
+
+
+QUERIES = {"p7_ids": p7_ids, "p7_text": p7_text}
