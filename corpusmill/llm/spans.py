@@ -20,6 +20,7 @@ from corpusmill.llm.common import checkpoints, table
 # Perfect difference sets by their period.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27), 57: (0, 1, 3, 13, 32, 36, 43, 52), 73: (0, 1, 3, 7, 15, 31, 36, 54, 63), 133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109), 183: (0, 1, 3, 16, 23, 28, 42, 76, 82, 86, 119, 137, 154, 175)}
 WINDOWS_A_BUCKET = 600_000
+HOT = 8
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 POWERS = {}
@@ -56,8 +57,8 @@ def prefixes(text):
 
 
 def period_for(least):
-    """The largest period of COVERS up to 0.62 of the least length; longer windows are rarer, shorter periods denser."""
-    return max([p for p in COVERS if p <= 0.62 * least], default=1)
+    """The largest period of COVERS up to half the least length: longer windows are repeated less, shorter periods have more of them."""
+    return max([p for p in COVERS if p <= least / 2], default=1)
 
 
 def covered(n, period):
@@ -115,59 +116,94 @@ def as_array(b, kind=np.int32):
 
 
 def repeated(df, least, period, buckets, stage):
-    """(id, at): of each row, the packed wanted positions whose window also occurs in another group; in stage "ask", those whose window is asked for anywhere."""
+    """(id, at): of each row, the packed wanted positions whose window also occurs in another group; in stage "ask", those whose window is asked for anywhere.
 
+    A batch sends a window that it has more than HOT times as two occurrences, those of its least and greatest group; the
+    others stay pending in a row of the batch and are joined by hash with the windows found, so no bucket grows with a hot
+    window.
+    """
     wide = stage in ("near", "rest")  # these say what is shared: whole hashes; the others only choose what is looked at
     kind = np.uint64 if wide else np.uint32
+    columns = ["bucket", "h", "r", "at", "ids", "g", "gk", "f"]
+
+    def names(h, bucket):
+        return h.astype(np.int64) if wide else (h & np.uint64(0xFFFFFFFF)).astype(np.int64) | bucket.astype(np.int64) << 32
 
     def emit(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 20
         for b in batches:
+            number += 1
             groups, gk = pd.factorize(b.group)
+            gk, keys = gk.to_numpy(np.int64), b["id"].to_numpy(np.int64)
             hs, rows, ats, fs = [], [], [], []
             extra = {c: b[c].tolist() for c in ("anchors", "shared", "asked") if c in b}
             for i, text in enumerate(b.content):
-                n = len(text)
-                at, width, flags = wanted(stage, {c: v[i] for c, v in extra.items()}, n, least, period)
-                if not len(at):
-                    continue
-                fs.append(np.zeros(len(at), bool) if flags is None else flags)
-                hs.append(window_hashes(prefixes(text), at, width))
-                rows.append(np.full(len(at), i, np.uint16 if len(b) <= 65536 else np.uint32))
-                ats.append(at.astype(np.uint32))
+                at, width, flags = wanted(stage, {c: v[i] for c, v in extra.items()}, len(text), least, period)
+                if len(at):
+                    hs.append(window_hashes(prefixes(text), at, width))
+                    rows.append(np.full(len(at), i, np.uint32))
+                    ats.append(at.astype(np.uint32))
+                    fs.append(np.zeros(len(at), np.uint8) if flags is None else flags.astype(np.uint8))
             if not hs:
                 continue
             h, r, at, f = np.concatenate(hs), np.concatenate(rows), np.concatenate(ats), np.concatenate(fs)
-            bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.argsort(bucket, kind="stable")
-            h, r, at, f, bucket = h[order], r[order], at[order], f[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            order = np.lexsort((groups[r], h)) if len(b) else np.empty(0, np.int64)
+            h, r, at, f = h[order], r[order], at[order], f[order]
+            bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ascending, as h is
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            size = np.diff(np.r_[start, len(h)])
             out = []
+            if (size > HOT).any():
+                hot = np.repeat(size > HOT, size)
+                ends = np.zeros(len(h), bool)
+                ends[start] = ends[start + size - 1] = True
+                f = np.where(hot, np.repeat(np.maximum.reduceat(f, start), size) | 2, f).astype(np.uint8)
+                name = names(h[hot], bucket[hot])
+                cuts = np.flatnonzero(np.diff(name)) + 1
+                for x, y in zip(np.r_[0, cuts], np.r_[cuts, len(name)]):
+                    out.append((-number, name[x : x + 1].tobytes(), b"", at[hot][x:y].astype(np.int32).tobytes(), keys[r[hot][x:y]].tobytes(), b"", b"", b""))
+                keep = ~hot | ends
+                h, r, at, f, bucket = h[keep], r[keep], at[keep], f[keep], bucket[keep]
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
             for x, y in zip(np.r_[0, cuts], np.r_[cuts, len(h)]):
                 used, code = np.unique(r[x:y], return_inverse=True)
                 used_groups, g = np.unique(groups[used], return_inverse=True)
-                out.append((int(bucket[x]), h[x:y].astype(kind).tobytes(), code.astype(np.uint16 if len(used) <= 65536 else np.uint32).tobytes(), at[x:y].astype(np.uint16 if at[x:y].max() < 65536 else np.uint32).tobytes(), b["id"].to_numpy(np.int64)[used].tobytes(), g.astype(np.uint32).tobytes(), gk.to_numpy(np.int64)[used_groups].tobytes(), np.packbits(f[x:y]).tobytes() if stage == "ask" else b""))
-            yield pd.DataFrame(out, columns=["bucket", "h", "r", "at", "ids", "g", "gk", "f"])
+                out.append((int(bucket[x]), h[x:y].astype(kind).tobytes(), code.astype(np.uint16 if len(used) <= 65536 else np.uint32).tobytes(), at[x:y].astype(np.uint16 if at[x:y].max() < 65536 else np.uint32).tobytes(), keys[used].tobytes(), g.astype(np.uint32).tobytes(), gk[used_groups].tobytes(), f[x:y].tobytes() if f[x:y].any() else b""))
+            yield pd.DataFrame(out, columns=columns)
+
+    def made(out):
+        id_, at, name, found = zip(*out) if out else ((), (), (), ())
+        return pd.DataFrame({"id": pd.array(id_, dtype="Int64"), "at": pd.Series(at, dtype=object), "name": pd.array(name, dtype="Int64"), "found": pd.Series(found, dtype=bool)})
 
     def match(frame):
-        hs, gs = [], []
+        out = []
+        if frame.bucket.iloc[0] < 0:  # what a batch keeps pending
+            for h, at, ids in zip(frame.h, frame["at"], frame.ids):
+                name, at, ids = int(np.frombuffer(h, np.int64)[0]), np.frombuffer(at, np.int32), np.frombuffer(ids, np.int64)
+                order = np.argsort(ids, kind="stable")
+                cuts = np.flatnonzero(np.diff(ids[order])) + 1
+                out += [(int(ids[order[p]]), at[order[p:q]].tobytes(), name, False) for p, q in zip(np.r_[0, cuts], np.r_[cuts, len(ids)])]
+            return made(out)
+        hs, gs, fs = [], [], []
         for h, r, g, gk, f in zip(frame.h, frame.r, frame.g, frame.gk, frame.f):
             h = np.frombuffer(h, kind)
-            if stage == "ask":
-                hs.append(h)
-                gs.append(np.unpackbits(np.frombuffer(f, np.uint8), count=len(h)))
-                continue
             r = np.frombuffer(r, np.uint16 if len(r) == 2 * len(h) else np.uint32)
             hs.append(h)
             gs.append(np.frombuffer(gk, np.int64)[np.frombuffer(g, np.uint32)][r])
-        h, g = np.concatenate(hs), np.concatenate(gs)
+            fs.append(np.frombuffer(f, np.uint8) if f else np.zeros(len(h), np.uint8))
+        h, g, f = np.concatenate(hs), np.concatenate(gs), np.concatenate(fs)
         order = np.argsort(h, kind="stable")
-        sh, sg = h[order], g[order]
+        sh, sg, sf = h[order], g[order], f[order]
         start = np.flatnonzero(np.r_[True, sh[1:] != sh[:-1]])
-        most = np.maximum.reduceat(sg, start)
-        many = most > 0 if stage == "ask" else np.minimum.reduceat(sg, start) != most
+        many = np.maximum.reduceat(sf & 1, start) > 0 if stage == "ask" else np.minimum.reduceat(sg, start) != np.maximum.reduceat(sg, start)
+        found = sh[start[many & (np.bitwise_or.reduceat(sf, start) & 2 > 0)]].astype(np.uint64)
+        out += [(None, None, int(n), True) for n in names(found, np.full(len(found), frame.bucket.iloc[0], np.uint64))]
         hit = np.empty(len(h), bool)
         hit[order] = np.repeat(many, np.diff(np.r_[start, len(sh)]))
-        out, x = [], 0
+        hit &= f & 2 == 0
+        x = 0
         for raw, r, at, ids in zip(frame.h, frame.r, frame["at"], frame.ids):
             n = len(raw) // kind().nbytes
             k = np.flatnonzero(hit[x : x + n])
@@ -178,11 +214,14 @@ def repeated(df, least, period, buckets, stage):
                 order = np.argsort(r, kind="stable")
                 r, at, ids = r[order], at[order], np.frombuffer(ids, np.int64)
                 cuts = np.flatnonzero(np.diff(r)) + 1
-                out += [(int(ids[r[p]]), at[p:q].tobytes()) for p, q in zip(np.r_[0, cuts], np.r_[cuts, len(r)])]
-        return pd.DataFrame(out, columns=["id", "at"])
-
-    blobs = df.mapInPandas(emit, "bucket int, h binary, r binary, at binary, ids binary, g binary, gk binary, f binary")
-    return blobs.groupBy("bucket").applyInPandas(match, "id long, at binary").groupBy("id").agg(F.collect_list("at").alias("at"))  # bounded by one content
+                out += [(int(ids[r[p]]), at[p:q].tobytes(), None, False) for p, q in zip(np.r_[0, cuts], np.r_[cuts, len(r)])]
+        return made(out)
+
+    blobs = df.mapInPandas(emit, "bucket long, h binary, r binary, at binary, ids binary, g binary, gk binary, f binary")
+    got = blobs.groupBy("bucket").applyInPandas(match, "id long, at binary, name long, found boolean").checkpoint()
+    known = got.where("name is null").select("id", "at")
+    later = got.where("name is not null and not found").join(got.where("found").select("name").distinct(), "name").select("id", "at")
+    return known.unionByName(later).groupBy("id").agg(F.collect_list("at").alias("at"))  # bounded by one content
 
 
 def shared_spans(df, least=300):
