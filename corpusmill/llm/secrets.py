@@ -7,12 +7,15 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
-# Prefilter words; each alternative of VALUE needs one of them on its line.
+# Prefilter words; each alternative of VALUE needs one of them on its line.
 WORDS = ("pass", "pwd", "_pw", "secret", "token", "key", "auth", "bearer", "jwt", "begin ", "://", "ghp_", "npm_", "sk_live_", "sg.", "akia", "asia", "glpat-", "xox", "aiza", "_pat_", "-u", "--user", "login", "connect(", "connection", "connstr", "conn_str", "conn-str", "hooks.", "eyj")
 ISSUER = re.compile(r"\b(?:ghp_[A-Za-z0-9]{36}|npm_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|SG\.[\w-]{16,}\.[\w-]{30,}|(?:AKIA|ASIA)[A-Z0-9]{16}|glpat-[\w-]{20,}|xox[a-z]-[A-Za-z0-9-]{20,}|AIza[\w-]{35}|[a-z][a-z0-9]+_pat_(?=\w*\d)(?:[a-f0-9]{32,}|[A-Za-z0-9]{22,}(?:_[A-Za-z0-9]{20,})?)|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})")
 # Issuers not named above: prefix, separator and a body of both cases and digits. It has no word to prefilter by and is searched in every text.
 GENERAL = re.compile(r"(?<![\w+/=.-])(?!(?i:sha|md)\d)[A-Za-z][A-Za-z0-9]{1,9}(?:_[a-z]{2,6})?[_-](?=[a-z0-9]*[A-Z])(?=[A-Z0-9]*[a-z])(?=[A-Za-z]*\d)[A-Za-z0-9]{20,}(?![\w+/=-])")
-BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
+BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+ROW = re.compile(r"(?:\\r)?\\n|\r?\n")  # line ends of a key, written out or real
+KEPT = re.compile(r"(?:gh[a-z]_|npm_|sk_live_|SG\.|AKIA|ASIA|glpat-|xox[a-z]-|AIza|[a-z][a-z0-9]+_pat_|eyJ)(?=[\w.-]{12})")
 NAMES = r"passw(?:or)?d|passphrase|_pass|pwd|_pw|secret|token|(?:api|signing|account|access|secret|x-api)[_-]?key"
 VALUE = re.compile(
     r"""(?ix)
@@ -53,6 +56,8 @@ def joined(text: str, end: int) -> tuple[str, int]:
 
 def is_secret(kind: str, v: str, text: str, start: int, end: int) -> bool:
     """Judges a value in its place: a piece together with the pieces that follow."""
+    if masked_already(v):
+        return False
     if kind == "b" or kind != "j" and looks_secret(v):
         return True
     if kind == "c":
@@ -73,14 +78,49 @@ def looks_secret(v: str) -> bool:
     return kinds >= 2 and len(set(v)) >= 6 and not re.search(r"(?i)your|example|xxxx|\*\*\*|environ|getenv|process\.env|\w\.\w+\(", v) and bool(re.search(r"\d", v) or kinds >= 3)
 
 
+def key_rows(text, at):
+    """The ranges of the key text in a block whose BEGIN mark ends here, and the block's end: its END mark, or where the last row of key letters ends."""
+    rows, end = [], at
+    while at <= len(text):
+        m = ROW.search(text, at)
+        stop = m.start() if m else len(text)
+        if e := END.search(text, at, stop):
+            for k in re.finditer(r"[A-Za-z0-9+/=]{16,}", text[at : e.start()]):
+                rows.append((at + k.start(), at + k.end()))
+            return rows, e.end()
+        k = re.fullmatch(r"[\s\"'`+,;#*/.]*?(?P<k>[A-Za-z0-9+/]+={0,2})?[\s\"'`+,;\\.]*", text[at:stop])
+        if not k and not re.fullmatch(r"[\s#*/]*(?:Proc-Type|DEK-Info|Version|Comment|Hash): .*", text[at:stop]):
+            break
+        if k and k["k"]:
+            if len(k["k"]) < 16 and not rows:
+                break
+            rows.append((at + k.start("k"), at + k.end("k")))
+            end = rows[-1][1]
+            if len(k["k"]) < 16:
+                break
+        if not m:
+            break
+        at = m.end()
+    return rows, end
+
+
+def masked_already(v):
+    """Nothing but what mask() leaves of letters and digits."""
+    return not re.search(r"[A-WYZa-wyz1-9]", KEPT.sub("", v, count=1))
+
+
 def spans(text, automaton):
     """Start and end of each secret, in order, without overlap."""
     if not text:
         return []
-    out = [m.span() for m in GENERAL.finditer(text)]
+    out = [m.span() for m in GENERAL.finditer(text) if not masked_already(m[0])]
     if not out and next(automaton.iter(text.lower()), None) is None:
         return []
-    out += [m.span() for m in BLOCK.finditer(text)] + [m.span() for m in ISSUER.finditer(text) if len(set(m[0])) >= 9]
+    for m in BEGIN.finditer(text):
+        rows, end = key_rows(text, m.end())
+        if rows and not all(masked_already(text[s:e]) for s, e in rows):
+            out.append((m.start(), end))
+    out += [m.span() for m in ISSUER.finditer(text) if len(set(m[0])) >= 9 and not masked_already(m[0])]
     at = 0
     for line in text.split("\n"):
         for m in VALUE.finditer(line) if next(automaton.iter(line.lower()), None) is not None else ():
@@ -97,7 +137,17 @@ def spans(text, automaton):
 
 
 def mask(v: str) -> str:
-    """Same length, same alphabet by character class; line ends and ASCII punctuation stay. What isn't ASCII becomes a letter or digit too."""
+    """Same length, same alphabet by character class; line ends, ASCII punctuation, the issuer's prefix and a key's BEGIN and END marks stay. What isn't ASCII becomes a letter or digit too."""
+    if m := BEGIN.match(v):
+        for s, e in key_rows(v, m.end())[0]:
+            v = v[:s] + letters(v[s:e]) + v[e:]
+        return v
+    m = KEPT.match(v)
+    n = m.end() if m else 0
+    return v[:n] + letters(v[n:])
+
+
+def letters(v):
     v = re.sub(r"[^\x00-\x7f\s]", lambda m: "0" if m[0].isnumeric() else "X" if m[0].isupper() else "x", v)
     return re.sub("[0-9]", "0", re.sub("[A-Z]", "X", re.sub("[a-z]", "x", v)))
 
