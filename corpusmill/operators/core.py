@@ -6,13 +6,6 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
-    """Keys holding at least `share` of all rows; partial aggregation keeps hot keys off single tasks. Null keys count in the total only."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_t"))  # one row
-    return counts.crossJoin(F.broadcast(total)).where(F.col(key).isNotNull() & (F.col("_n") >= F.col("_t") * share)).select(key)
-
-
 def corpus_totals(spark, d):
     return read(spark, d, "documents").agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("raw_size"), F.lit(0)).alias("bytes"))
 
@@ -38,18 +31,14 @@ def tag_counts(spark, d):
 
 
 def empty_repos_anti(spark, d):
-    return read(spark, d, "repos").join(read(spark, d, "documents").select("repo_id"), "repo_id", "left_anti").select("repo_id")
+    return read(spark, d, "repos").join(read(spark, d, "documents").select("repo_id").distinct(), "repo_id", "left_anti").select("repo_id")
 
 
 def dedup_case_repos(spark, d):
     return read(spark, d, "repos").groupBy("name_key").agg(F.max_by("repo_id", F.struct("indexed_at", "repo_id")).alias("repo_id"))
 
 
-def p6_found(spark, d):
-    return hot_keys(read(spark, d, "postings"), "trigram", 0.02)
-
-
-QUERIES = {f.__name__: f for f in (corpus_totals, repo_stats, repo_profile, top_languages, tag_counts, empty_repos_anti, dedup_case_repos, p6_found)}
+QUERIES = {f.__name__: f for f in (corpus_totals, repo_stats, repo_profile, top_languages, tag_counts, empty_repos_anti, dedup_case_repos)}
 SQL = {
     "corpus_totals": "SELECT count(*) AS documents, CAST(coalesce(sum(raw_size),0) AS BIGINT) AS bytes FROM documents",
     "repo_stats": "SELECT repo_id, count(*) AS files, CAST(sum(raw_size) AS BIGINT) AS bytes FROM documents GROUP BY repo_id",
@@ -58,5 +47,4 @@ SQL = {
     "tag_counts": "SELECT tag, count(*) AS repos FROM (SELECT unnest(tags) AS tag FROM repos) GROUP BY tag",
     "empty_repos_anti": "SELECT repo_id FROM repos r WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.repo_id = r.repo_id)",
     "dedup_case_repos": "SELECT name_key, repo_id FROM (SELECT name_key, repo_id, row_number() OVER (PARTITION BY name_key ORDER BY indexed_at DESC, repo_id DESC) AS rn FROM repos) WHERE rn = 1",
-    "p6_found": "SELECT trigram FROM postings WHERE trigram IS NOT NULL GROUP BY trigram HAVING count(*) >= 0.02 * (SELECT count(*) FROM postings)",
 }

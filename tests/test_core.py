@@ -13,7 +13,7 @@ def spark():
 @pytest.mark.parametrize("name", list(e.oracle_sql()))
 def test_oracle(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "repos", "postings"):
+    for t in ("documents", "repos", "postings", "prepared_files"):
         c.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
     df = e.queries()[name](spark, D)
     want = c.execute(f"select {','.join(f'"{x}"' for x in df.columns)} from ({e.oracle_sql()[name]})").fetchall()
