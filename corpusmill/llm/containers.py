@@ -14,6 +14,7 @@ import base64
 from bisect import bisect_right
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Window as W, functions as F
 
@@ -178,14 +179,20 @@ def fill(docs, capacity, path):
             at += s
         fills.append((base, base + times, len(parts), at))
         base += times
+    # the plan has a few rows for each size up to the capacity, whatever the number of texts: small enough to broadcast
     plan = spark.createDataFrame(pd.DataFrame(rows, columns=["tokens", "lo", "hi", "shift", "position", "at"]), "tokens int, lo long, hi long, shift long, position int, at int")
     ranked = items.join(F.broadcast(before.drop("n")) if before.count() < 100_000 else before.drop("n"), ["tokens", "part"]).withColumn("rank", F.col("before") + F.col("local"))
-    own = ranked.where("tokens > 0").join(plan, "tokens").where("rank >= lo and rank < hi")
+    own = ranked.where("tokens > 0").join(F.broadcast(plan), "tokens").where("rank >= lo and rank < hi")
     columns = ["doc_id", "piece", "start_token", "tokens"]
     own = own.select(*columns, (F.col("rank") + F.col("shift")).alias("container"), "position", "at")
-    ends = spark.createDataFrame(pd.DataFrame(fills or [(0, 1, 0, 0)], columns=["lo", "hi", "size", "at"]), "lo long, hi long, size int, at int")
+    fills = np.array(fills or [(0, 1, 0, 0)])
+
+    def end(container: pd.Series) -> pd.DataFrame:
+        k = np.searchsorted(fills[:, 0], container.to_numpy(), "right") - 1
+        return pd.DataFrame({"size": fills[k, 2].astype(np.int32), "at": fills[k, 3].astype(np.int32)})
+
     none = ranked.where("tokens = 0").withColumn("container", F.col("rank") % max(base, 1)).withColumn("turn", F.floor(F.col("rank") / max(base, 1)))
-    none = none.join(F.broadcast(ends), (F.col("container") >= F.col("lo")) & (F.col("container") < F.col("hi")))
+    none = none.withColumn("end", F.pandas_udf(end, "size int, at int")("container")).select("*", "end.size", "end.at")
     none = none.select(*columns, "container", (F.col("size") + F.col("turn")).cast("int").alias("position"), "at")
     return own.unionByName(none)
 
