@@ -100,7 +100,7 @@ class Corpus:
         added_repos = fresh.count()
         unchanged = wanted.count() - added_repos
         top = repos.agg(F.coalesce(F.max("repo_id"), F.lit(0))).first()[0]
-        number = F.row_number().over(W.orderBy("name_key"))  # repositories of one call
+        number = F.row_number().over(W.orderBy("name_key"))  # a row a repository of this call, without its files
         known = repos.select("name_key", F.col("repo_id").alias("old_id"), F.col("name").alias("old_name"), F.col("pushed_at").alias("old_pushed"), F.col("archived").alias("old_archived"), "tags", F.col("commit_sha").alias("old_sha"))
         made = fresh.join(known, "name_key", "left").withColumn("n", number)
         made = made.select(F.coalesce("old_id", F.col("n") + top).cast("long").alias("repo_id"), F.coalesce("old_name", "typed").alias("name"), "name_key", F.coalesce("commit_sha", "old_sha").alias("commit_sha"), F.coalesce("pushed_at", "old_pushed").alias("pushed_at"), F.coalesce("archived", "old_archived").alias("archived"), "tags", now.alias("indexed_at"))
@@ -111,8 +111,7 @@ class Corpus:
         kept = kept.dropDuplicates(["repo_id", "path"])
         upto = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
         per = kept.select("repo_id", "path", P.language_of(F.col("path")).alias("language"), F.col("content").alias("text"), size.cast("long").alias("raw_size"), now.alias("indexed_at"))
-        counts = per.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("repo_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        per = per.withColumn("k", F.row_number().over(W.partitionBy("repo_id").orderBy("path"))).join(counts.select("repo_id", "before"), "repo_id").withColumn("doc_id", (F.col("before") + F.col("k") + upto).cast("long"))
+        per = per.withColumn("doc_id", F.monotonically_increasing_id() + F.lit(upto + 1))  # above all before, not dense; fixed once written
         columns = [c.split()[0] for c in DOCUMENTS.split(", ")]
         self.commit({"documents": docs.join(made.select("repo_id"), "repo_id", "left_anti").select(*columns).unionByName(per.select(*columns)), "repos": all_repos})
         added = self.read("documents").where(F.col("doc_id") > upto)
