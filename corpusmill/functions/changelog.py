@@ -3,7 +3,6 @@ import re
 
 NAMES = ["changelog", "changes", "history", "releases", "news"]  # fixed values: file names by preference
 SUFFIXES = ["", ".md", ".markdown", ".rst", ".txt"]
-MOST = 65_536
 
 
 def rank(path):

@@ -119,7 +119,7 @@ def helpers(spark, d):
 
 
 def changelogs(spark, d) -> DataFrame:
-    return read(spark, d, "documents").where("source = 'changelog' and text is not null and doc_id is not null").select("doc_id", "repo_id", F.col("path"), F.lit("markdown").alias("language"), F.substring("text", 1, L.MOST).alias("text"))
+    return read(spark, d, "documents").where("source = 'changelog' and text is not null and doc_id is not null").select("doc_id", "repo_id", F.col("path"), F.lit("markdown").alias("language"), "text")
 
 
 def changelog_releases(spark, d):
