@@ -11,6 +11,8 @@ anchors, which finds the exact ends. No pairs of records are formed at any point
 Null ids or contents have no rows; a null group is a group of its own; rows of one id are taken to hold the same content
 and count once. Contents below the least length share nothing. Extra columns are ignored.
 """
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -140,6 +142,7 @@ def repeated(df, least, period, buckets, stage):
             hs, rows, ats, fs = [], [], [], []
             extra = {c: b[c].tolist() for c in ("anchors", "shared", "asked") if c in b}
             for i, text in enumerate(b.content):
+                text = text if isinstance(text, str) else zlib.decompress(text).decode("utf-8", "surrogatepass")
                 at, width, flags = wanted(stage, {c: v[i] for c, v in extra.items()}, len(text), least, period)
                 if len(at):
                     hs.append(window_hashes(prefixes(text), at, width))
@@ -242,7 +245,11 @@ def shared_spans(df, least=300):
         return f("at").alias(name)
 
     anchors = repeated(rows, least, period, buckets, "anchors").select("id", sort("anchors"))
-    near = rows.join(anchors, "id").dropDuplicates(["id"]).checkpoint()
+    def pack(col: pd.Series) -> pd.Series:
+        return pd.Series([zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in col], dtype=object)
+
+    packed = F.pandas_udf(pack, "binary")  # checkpoints aren't compressed
+    near = rows.join(anchors, "id").dropDuplicates(["id"]).withColumn("content", packed("content")).checkpoint()
     few = max(1, buckets // 4)
     shared = repeated(near, least, period, few, "near").select("id", sort("shared"))
     open_ = near.join(shared, "id", "left").checkpoint()
