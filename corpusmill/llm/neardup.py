@@ -108,7 +108,7 @@ def near_pairs(df, threshold):
     first = sigs.groupBy("set_hash").agg(F.min("id").alias("class_id"))
     members = members.join(first, "set_hash").select("id", "class_id").distinct()
     classes = sigs.join(first.select(F.col("class_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    bands = classes.select("id", "size", F.posexplode("bands").alias("band", "key"))
+    bands = classes.select("id", "size", "bands").select("id", "size", F.posexplode("bands").alias("band", "key"))
     busy = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
     bands = bands.join(busy, ["band", "key"], "left_semi")
     x, y = bands.select("key", "band", F.col("id").alias("a"), F.col("size").alias("m")), bands.select("key", "band", F.col("id").alias("b"), F.col("size").alias("n"))
@@ -116,7 +116,7 @@ def near_pairs(df, threshold):
     pairs = pairs.join(classes.select(F.col("id").alias("a"), F.col("sig").alias("s")), "a").join(classes.select(F.col("id").alias("b"), F.col("sig").alias("t")), "b")
     pairs = pairs.where(F.pandas_udf(agreement, "double")("s", "t") >= threshold - 0.22).select("a", "b").checkpoint()  # over five standard deviations below
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = rows.join(ends, "id", "left_semi").dropDuplicates(["id"]).checkpoint()
+    texts = rows.join(ends, "id", "left_semi").dropDuplicates(["id"])  # both joins below read the same exchange
     pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("content").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("content").alias("t")), "b")
     return members, pairs.select("a", "b", F.pandas_udf(exact, "double")("s", "t").alias("similarity")).where(F.col("similarity") >= threshold).checkpoint()
 
