@@ -21,6 +21,7 @@ from pyspark.sql import Window as W, functions as F
 from corpusmill.llm.common import checkpoints, table
 
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the tokenizer's split pattern
+MAX_PLAN = 500_000
 MAX_CAPACITY = 1 << 20  # of the histogram on the driver
 
 
@@ -179,10 +180,10 @@ def fill(docs, capacity, path):
             at += s
         fills.append((base, base + times, len(parts), at))
         base += times
-    # the plan has a few rows for each size up to the capacity, whatever the number of texts: small enough to broadcast
+    # the plan's size depends on the sizes that occur, not on the number of texts; it is broadcast up to MAX_PLAN rows and joined by shuffle beyond
     plan = spark.createDataFrame(pd.DataFrame(rows, columns=["tokens", "lo", "hi", "shift", "position", "at"]), "tokens int, lo long, hi long, shift long, position int, at int")
     ranked = items.join(F.broadcast(before.drop("n")) if before.count() < 100_000 else before.drop("n"), ["tokens", "part"]).withColumn("rank", F.col("before") + F.col("local"))
-    own = ranked.where("tokens > 0").join(F.broadcast(plan), "tokens").where("rank >= lo and rank < hi")
+    own = ranked.where("tokens > 0").join(F.broadcast(plan) if len(rows) <= MAX_PLAN else plan, "tokens").where("rank >= lo and rank < hi")
     columns = ["doc_id", "piece", "start_token", "tokens"]
     own = own.select(*columns, (F.col("rank") + F.col("shift")).alias("container"), "position", "at")
     fills = np.array(fills or [(0, 1, 0, 0)])
