@@ -3,7 +3,9 @@
 Formats give the items that tell themselves. Names and identity numbers are found by bootstrapping: seed items (names
 before an address in trailers, numbers behind a document's name) induce patterns (the words to the left and right, the
 given name, the surname); Spark scores patterns by the known share of their different items and items by their patterns,
-round by round, and items of patterns with high confidence become known.
+round by round, and items of patterns with high confidence become known. A context without a word (the start of a line, a
+comment mark) is no pattern, and an item is no name where most of its mentions share a word with a known one ("As Ada" in
+"As Ada Zander").
 
 Source files are searched in their comments, other texts whole. An item over more lines counts at its first. Null, empty
 and blank texts have no rows, nor have null doc_ids; rows of one doc_id count once. Extra columns are ignored.
@@ -96,7 +98,7 @@ STREET = re.compile(rf"(?:weg|stra(?:ß|ss)e|str\.|gasse|platz|allee|damm) \d|\b
 
 
 def scan(text, source):
-    """(kind, start, end, item, left, right, given, surname, seed) of what formats find, and of candidates for names and numbers (item not null)."""
+    """(kind, start, end, item, left, right, given, surname, seed, rival) of what formats find, and of candidates for names and numbers (item not null); rival: the next candidate, if it begins with this one's last word."""
     out = []
     for offset, part in segments(text, source):
         taken, at = [], 0
@@ -107,7 +109,7 @@ def scan(text, source):
                 if (ok is None or ok(m)) and not any(a < e and s < b for a, b in taken):
                     taken.append((s, e))
                     left, right = context(part, s, e) if kind == "id_number" else (None, None)
-                    out.append((kind, offset + s, offset + e, m["v"].lower() if kind == "id_number" else None, left, right, None, None, True))
+                    out.append((kind, offset + s, offset + e, m["v"].lower() if kind == "id_number" else None, left, right, None, None, True, None))
 
         before = 0
         for line in part.split("\n"):
@@ -122,20 +124,22 @@ def scan(text, source):
                 if NINE.search(line):
                     take("phone", PHONE, at, end, lambda m: phone_ok(m[0]))
             before, at = at, end + 1
+        names = []
         for m in NAMEPAIR.finditer(part):
             x, y, sep = m["x"], m["y"], m["sep"]
             s, e = m.start("x"), m.end("y")
             flipped = sep.startswith(",")
-            if flipped and m["m"]:
+            if flipped and m["m"] or any(a < e and s < b for a, b in taken):  # words of an address or another item are no name
                 continue
             left, right = context(part, s, e)
             given, surname = (y, x) if flipped else (x, y)
             seed = bool(re.match(r"\s*<", part[e : e + 3])) and bool(TRAILER.search(part[max(0, s - 40) : s]))
-            out.append(("name", offset + s, offset + e, f"{given} {surname}".lower(), left, right, given.lower(), surname.lower().rpartition("-")[2], seed))
+            names.append(("name", offset + s, offset + e, f"{given} {surname}".lower(), left, right, given.lower(), surname.lower().rpartition("-")[2], seed))
+        out += [(*x, y[3] if y and y[1] < x[2] else None) for x, y in zip(names, [*names[1:], None])]
     return out
 
 
-SCAN = "doc_id long, line_no long, kind string, s int, e int, item string, l string, r string, g string, n string, seed boolean"
+SCAN = "doc_id long, line_no long, kind string, s int, e int, item string, l string, r string, g string, n string, seed boolean, rival string"
 
 
 def candidates(docs):
@@ -143,9 +147,9 @@ def candidates(docs):
         for b in batches:
             out = []
             for i, text, source in zip(b.doc_id, b.text, b.source):
-                for kind, s, e, item, left, right, given, surname, seed in scan(text, source):
-                    out.append((i, text.count("\n", 0, s) + 1, kind, s, e, item, left, right, given, surname, seed))
-            yield pd.DataFrame(out, columns=["doc_id", "line_no", "kind", "s", "e", "item", "l", "r", "g", "n", "seed"])
+                for kind, s, e, *rest in scan(text, source):
+                    out.append((i, text.count("\n", 0, s) + 1, kind, s, e, *rest))
+            yield pd.DataFrame(out, columns=["doc_id", "line_no", "kind", "s", "e", "item", "l", "r", "g", "n", "seed", "rival"])
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text", "source").mapInPandas(run, SCAN)
 
@@ -155,18 +159,24 @@ def known_names(found):
     checkpoints(found.sparkSession)
     names = found.where("kind = 'name'")
     parts = F.explode(F.array(*[F.concat(F.lit(f"{p}:"), F.col(p)) for p in "lrgn"], F.concat(F.lit("b:"), F.col("l"), F.lit(" _ "), F.col("r"))))
-    edges = names.select("item", parts.alias("pattern")).where("pattern is not null").distinct().checkpoint()
+    told = F.col("pattern").rlike("^[gn]:") | F.regexp_replace(F.substring("pattern", 3, 1 << 30), " _ ", " ").rlike(r"\p{L}")
+    edges = names.select("item", parts.alias("pattern")).where("pattern is not null").where(told).distinct().checkpoint()
     sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size")).where(f"size >= {SUPPORT}")
     edges = edges.join(sizes, "pattern").checkpoint()  # (pattern, item, size): the graph
+    mentions = names.select("doc_id", "s", "item", "rival").distinct()
+    beside = mentions.where("rival is not null").select("item", "rival")
+    beside = beside.unionByName(beside.select(F.col("rival").alias("item"), F.col("item").alias("rival"))).groupBy("item", "rival").agg(F.count(F.lit(1)).alias("shared"))
+    beside = beside.join(mentions.groupBy("item").agg(F.countDistinct("doc_id", "s").alias("mentions")), "item").checkpoint()
     known = names.where("seed").select("item").distinct().checkpoint()
     for _ in range(ROUNDS):
         good = edges.join(known, "item", "left_semi").groupBy("pattern", "size").agg(F.count(F.lit(1)).alias("hits"))
         good = good.select("pattern", "hits", (F.col("hits") / F.col("size")).alias("p")).where("hits >= 2")
         kind = F.when(F.col("pattern").startswith("g:"), "g").when(F.col("pattern").startswith("n:"), "n").otherwise("c")
         best = [F.coalesce(F.max(F.when(F.col("t") == t, F.col("p"))), F.lit(0.0)).alias(t) for t in "cgn"]
-        score = edges.join(good, "pattern").withColumn("t", kind).groupBy("item").agg(*best, F.coalesce(F.max(F.when(F.col("t") == "c", F.col("hits"))), F.lit(0)).alias("h"))
+        score = edges.join(good, "pattern").withColumn("t", kind).groupBy("item").agg(*best, F.coalesce(F.max(F.when((F.col("t") == "c") & (F.col("p") >= 0.8), F.col("hits"))), F.lit(0)).alias("h"))
         more = score.where("g >= 0.25 or g >= 0.1 and greatest(n, c) >= 0.1 or n >= 0.25 and c >= 0.25 or c >= 0.8 and h >= 5").select("item")
-        known = known.unionByName(more).distinct().checkpoint()
+        part = beside.join(known.withColumnRenamed("item", "rival"), "rival", "left_semi").groupBy("item").agg(F.sum("shared").alias("shared"), F.max("mentions").alias("mentions")).where("2 * shared >= mentions")
+        known = known.unionByName(more.join(part, "item", "left_anti")).distinct().checkpoint()
     return known
 
 

@@ -39,3 +39,19 @@ def test_names_and_placeholders(tmp_path):
     assert got == sorted([(i, 2, k) for i in range(16) for k in ("email", "name")] + [(20, 1, "name"), (23, 2, "name")])
     texts = dict(map(tuple, P.p9_redacted(spark, str(tmp_path)).collect()))
     assert texts[0] == "fix\nSigned-off-by: [NAME] <[EMAIL]>\n" and texts[21] is None and texts[22] == "" and texts[23] == "x\n[NAME] wrote: hm" and texts[20].startswith("Thanks to [NAME] for it.\nBlue Harbor")
+
+
+def test_names_do_not_drift(tmp_path):
+    spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    given, family = ["Ada", "Bo", "Cleo", "Dan"], ["Zander", "Yorick", "Xavisson", "Wendelin"]
+    rows = [(i, f"Reported-by: {given[i % 4]} {family[i // 4]} <u{i}@zedd.example>\n{given[i % 4]} {family[i // 4]} saw it.", "commit") for i in range(16)]
+    rows += [(20 + i, f"As {family[i]}, {given[i]} said, it is cold.\nBlue Harbor wrote {i} rows.", "issue") for i in range(4)]
+    rows += [(30, "Mail Queue moved.\nThe Quick start.\nKyoto Logs grew.", "issue"), (31, "As Ada Zander said, it is cold.", "issue")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in P.p9_found(spark, str(tmp_path)).collect() if r.kind == "name"}
+    assert got == {(i, line, "name") for i in range(16) for line in (1, 2)} | {(20 + i, 1, "name") for i in range(4)} | {(31, 1, "name")}
+
+
+def test_words_of_addresses_are_no_candidates():
+    t = "Ship to 12 Orchard Street today, Flat 3, 66 Bramble Gardens.\nAda Zander\n9 Ada Zander Road"
+    assert [t[s:e] for k, s, e, *_ in P.scan(t, "issue") if k == "name"] == ["Ada Zander"]
