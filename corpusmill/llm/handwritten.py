@@ -1,11 +1,11 @@
 """Generated, minified and vendored files, and data saved as code, among stored source files.
 
 A file's code, without comments, is masked: identifiers, strings and numbers become one character each, so every character
-is a token. Sets of masked token shingles are clustered by hash minima and banding; each member of a bucket is compared
-with the bucket's outermost members by repository, never with all. Verified by signature, a cluster across repositories whose
-raw shingles agree too is a vendored copy, a family of differing files within a repository that repeat a line form is
-generated, and a cluster of literals only is a blob. Beside the clusters count what a file shows by itself: banners in its
-comments, a vendor directory, the share of literals, of one-letter identifiers and of periodic lines.
+is a token. Sets of masked and of raw token shingles have signatures of hash minima; signatures in more bands than may
+differ share one, so every pair that meets a threshold is compared, equal files as one. Files of two repositories whose form
+and raw shingles agree are vendored copies, differing files within a repository that repeat a line form are generated, and
+files of literals whose form agrees are blobs. Beside the pairs count what a file shows by itself: banners in its comments, a
+vendor directory, the share of literals, of one-letter identifiers and of periodic lines.
 
 Null, empty and blank texts, and documents of other sources, are no cases; null doc_ids have no row; rows of one doc_id
 count once. Names listed by the audit are reported, but decide nothing. Extra columns are ignored.
@@ -29,7 +29,8 @@ GENERATED = re.compile(r"(?im)^\W*(?:(?:this file is |code |source )?(?:auto-?ge
 VENDORED = re.compile(r"(?im)^\W*(?:vendored from \S|(?:copied|taken) (?:verbatim )?from \S.*\d|(?:this is a )?(?:local |verbatim )?(?:copy|snapshot) of \S+ .*\d|imported from the \S+ tree\b|\S+ v\d[\w.]* - https?://\S+ - (?:bundled|included) with)")
 VENDOR_PATH = re.compile(r"(?i)(?:^|/)(?:third[_-]?party|node_modules|pods|deps|external|ext|_?vendor|vendored|bower_components|contrib/upstream)/")
 MIN_REPEATS, PERIODIC, LITERAL, SHORT = 8, 0.6, 0.7, 0.5
-BANDS, ROWS, WIDTH, RAW = 16, 6, 24, 64
+MINIMA, WIDTH, RAW = 96, 24, 64
+FORM, SAME, OTHER = 0.75, 0.7, 0.5
 
 
 def masked(text):
@@ -64,12 +65,10 @@ def comments(text):
 
 
 def facts(docs):
-    """One row a source file: what it shows by itself, its signatures and band hashes."""
+    """One row a source file: what it shows by itself, and its signatures."""
 
     def run(batches):
-        import xxhash
-
-        a, b = minima_parameters(BANDS * ROWS)
+        a, b = minima_parameters(MINIMA)
         cache = {}
         for batch in batches:
             out = []
@@ -85,43 +84,75 @@ def facts(docs):
                     x = np.zeros(n, np.uint64)
                     for k in range(WIDTH):
                         x = x * np.uint64(0x9E3779B97F4A7C15) + points[k : k + n]
-                    sig = signature(np.unique(mixed(x)), a, b)
-                    bands = [xxhash.xxh64_intdigest(r.tobytes(), seed=k) - (1 << 63) for k, r in enumerate(sig.reshape(BANDS, ROWS))]
+                    sig = signature(np.unique(mixed(x)), a, b).tobytes()
                     raw = shingles(text, cache)
                     raw = signature(raw, a[:RAW], b[:RAW]).tobytes() if len(raw) else None
-                    sig = sig.tobytes()
                 else:
-                    sig, bands, raw = None, [], None
-                out.append((i, None if pd.isna(repo) else int(repo), bool(GENERATED.search(head)), bool(VENDORED.search(head)) or bool(path) and bool(VENDOR_PATH.search(path)), short >= SHORT and width >= 80 and tokens >= 60, literal >= LITERAL and tokens > 0, literal, periodic(code.split("\n")), sig, raw, bands))
-            frame = pd.DataFrame(out, columns=["doc_id", "repo_id", "banner", "vendor", "minified", "blob", "literal", "periodic", "sig", "raw", "bands"])
+                    sig, raw = None, None
+                out.append((i, None if pd.isna(repo) else int(repo), bool(GENERATED.search(head)), bool(VENDORED.search(head)) or bool(path) and bool(VENDOR_PATH.search(path)), short >= SHORT and width >= 80 and tokens >= 60, literal >= LITERAL and tokens > 0, literal, periodic(code.split("\n")), sig, raw))
+            frame = pd.DataFrame(out, columns=["doc_id", "repo_id", "banner", "vendor", "minified", "blob", "literal", "periodic", "sig", "raw"])
             yield frame.astype({"repo_id": "Int64"})
 
     rows = docs.where("source = 'tarball' and doc_id is not null and text is not null").select("doc_id", "repo_id", "path", "text")
-    return rows.mapInPandas(run, "doc_id long, repo_id long, banner boolean, vendor boolean, minified boolean, blob boolean, literal double, periodic double, sig binary, raw binary, bands array<long>")
+    return rows.mapInPandas(run, "doc_id long, repo_id long, banner boolean, vendor boolean, minified boolean, blob boolean, literal double, periodic double, sig binary, raw binary")
 
 
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0.0 if x is None or y is None else float((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).mean()) for x, y in zip(a, b)], dtype=float)
 
 
+def band_keys(column, minima, threshold, *also):
+    """Hashes of the bands of a signature, one more than places that may differ at the threshold: signatures that meet it share a key."""
+    n = minima - int(np.ceil(minima * threshold)) + 1
+    at = [minima * k // n for k in range(n + 1)]
+    return F.array(*[F.xxhash64(F.lit(k), F.substring(column, 4 * x + 1, 4 * (y - x)), *also) for k, (x, y) in enumerate(zip(at, at[1:]))])
+
+
+def alike(rows, keys, kept):
+    """rows (id, sig, raw), equal ones under one id, to (id, other), both ways: the pairs that share a key and are kept by their agreement in form and raw shingles (same)."""
+    of = rows.select("id", F.explode(keys).alias("key")).distinct()
+    pairs = of.join(of.withColumnRenamed("id", "other"), "key").where("id < other").select("id", "other").distinct()
+    side = rows.select("id", "sig", "raw").dropDuplicates(["id"])
+    pairs = pairs.join(side, "id").join(side.select(F.col("id").alias("other"), F.col("sig").alias("o_sig"), F.col("raw").alias("o_raw")), "other")
+    agree = F.pandas_udf(agreement, "double")
+    pairs = pairs.withColumn("form", agree("sig", "o_sig")).where(F.col("form") >= FORM).withColumn("same", agree("raw", "o_raw")).where(kept).select("id", "other")
+    return pairs.unionByName(pairs.select(F.col("other").alias("id"), F.col("id").alias("other")))
+
+
+def copies(rows):
+    """Files whose form and raw shingles agree with a file of another repository."""
+    rows = rows.where("raw is not null").withColumn("id", F.xxhash64("sig", "raw"))
+    own = rows.groupBy("id").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"))
+    near = alike(rows, band_keys("raw", RAW, SAME), F.col("same") >= SAME).join(own.withColumnRenamed("id", "other"), "other").select("id", "lo", "hi")
+    near = near.unionByName(own).groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return rows.select("doc_id", "repo", "id").join(near, "id").where("lo <> repo or hi <> repo").select("doc_id")
+
+
+def families(rows):
+    """Files that repeat a line form and agree in form, but not in raw shingles, with another such file of their repository."""
+    rows = rows.where("periodic >= 0.4").withColumn("id", F.xxhash64("repo", "sig", "raw"))
+    bare = rows.where("raw is null").groupBy("id").agg(F.countDistinct("doc_id").alias("n")).where("n > 1").select("id")
+    linked = alike(rows, band_keys("sig", MINIMA, FORM, "repo"), F.col("same") < OTHER).select("id")
+    return rows.select("doc_id", "id").join(linked.unionByName(bare), "id", "left_semi").select("doc_id")
+
+
+def literals(rows):
+    """Files of literals that agree in form with another such file."""
+    rows = rows.where("literal >= 0.6").withColumn("id", F.xxhash64("sig"))
+    equal = rows.groupBy("id").agg(F.countDistinct("doc_id").alias("n")).where("n > 1").select("id")
+    linked = alike(rows, band_keys("sig", MINIMA, FORM), F.lit(True)).select("id")
+    return rows.select("doc_id", "id").join(linked.unionByName(equal), "id", "left_semi").select("doc_id")
+
+
 def classes(docs):
     """(doc_id, generated, minified, vendored, blob) of every source file with a text."""
     checkpoints(docs.sparkSession)
     f = facts(docs).checkpoint()
-    bands = f.select("doc_id", F.coalesce("repo_id", F.lit(-1)).alias("repo"), F.posexplode("bands").alias("band", "key"))
-    member = F.struct("repo", "doc_id")
-    ends = bands.groupBy("band", "key").agg(F.min(member).alias("x"), F.max(member).alias("y")).where("x <> y")
-    inner = bands.groupBy("band", "key", "repo").agg(F.min("doc_id").alias("x"), F.count(F.lit(1)).alias("n")).where("n >= 3")
-    across = bands.join(ends, ["band", "key"]).select("doc_id", "repo", F.explode(F.array("x", "y")).alias("o")).where("o.repo <> repo").select("doc_id", F.col("o.doc_id").alias("other")).distinct()
-    within = bands.join(inner, ["band", "key", "repo"]).where("x <> doc_id").select("doc_id", F.col("x").alias("other")).distinct()
-    # a hot bucket shuffles each of its members once: to its outermost members, not to one another
-    pairs = across.withColumn("cross", F.lit(True)).unionByName(within.withColumn("cross", F.lit(False)))
-    side = f.select("doc_id", "sig", "raw", "literal", "periodic")
-    pairs = pairs.join(side, "doc_id").join(side.select(*[F.col(c).alias(f"o_{c}") for c in side.columns]), F.col("other") == F.col("o_doc_id"))
-    agree = F.pandas_udf(agreement, "double")
-    pairs = pairs.withColumn("form", agree("sig", "o_sig")).where("form >= 0.75").withColumn("same", agree("raw", "o_raw"))
-    links = pairs.select("doc_id", "other", (F.col("cross") & (F.col("same") >= 0.7)).alias("copy"), (~F.col("cross") & (F.col("same") < 0.5) & (F.least("periodic", "o_periodic") >= 0.4)).alias("family"), (F.least("literal", "o_literal") >= 0.6).alias("literals"))
-    links = links.unionByName(links.select(F.col("other").alias("doc_id"), F.col("doc_id").alias("other"), "copy", "family", "literals"))
+    rows = f.where("sig is not null").select("doc_id", F.coalesce("repo_id", F.lit(-1)).alias("repo"), "sig", "raw", "literal", "periodic")
+    links = None
+    for name, found in (("copy", copies(rows)), ("family", families(rows)), ("literals", literals(rows))):
+        found = found.select("doc_id", *[F.lit(name == x).alias(x) for x in ("copy", "family", "literals")])
+        links = found if links is None else links.unionByName(found)
     links = links.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("copy", "family", "literals")])
     no = F.lit(False)
     got = f.join(links, "doc_id", "left")

@@ -1,5 +1,6 @@
-import random, sys
+import random, re, sys
 sys.path.insert(0, str(__import__("pathlib").Path(__file__).parents[2]))
+import numpy as np
 import pytest
 from corpusmill.llm import handwritten as H
 from pyspark.sql import SparkSession
@@ -42,6 +43,37 @@ def test_classes(spark, tmp_path):
     assert by[3].vendored and by[5].generated and by[6].minified and by[7].blob and by[5].suspect and by[6].suspect and not by[1].suspect and set(by) == {1, 2, 3, 4, 5, 6, 7, 8, 9, 13, 14, 15}
 
 
+def test_links_of_all_pairs(spark):
+    """Signatures that meet the thresholds, but share few minima in a row, and partners that are not outermost in a bucket."""
+    r = np.random.default_rng(3)
+    new = lambda n: r.integers(0, 1 << 32, n, dtype=np.uint32)
+
+    def off(x, n):
+        x = x.copy()
+        x[np.arange(n) * len(x) // n] = new(n)
+        return x
+
+    form, raw, far = new(96), new(64), new(64)
+    rows = [(2, 2, form, raw, 0.0, 0.0), (1, 1, off(form, 3), far, 0.0, 0.0), (9, 9, off(form, 3), new(64), 0.0, 0.0), (3, 3, off(form, 24), off(raw, 19), 0.0, 0.0), (4, 2, form, raw, 0.0, 0.0), (5, 4, off(form, 24), off(raw, 20), 0.0, 0.0)]
+    line = new(96)
+    rows += [(20, 7, line, new(64), 0.0, 0.5), (21, 7, off(line, 24), new(64), 0.0, 0.5), (22, 8, line, new(64), 0.0, 0.5), (23, 7, off(line, 25), new(64), 0.0, 0.5)]
+    data = new(96)
+    rows += [(30, 1, data, None, 0.65, 0.0), (31, 1, off(data, 24), None, 0.65, 0.0), (32, 2, off(data, 12), None, 0.5, 0.0)]
+    t = spark.createDataFrame([(i, p, x.tobytes(), None if y is None else y.tobytes(), a, b) for i, p, x, y, a, b in rows], "doc_id long, repo long, sig binary, raw binary, literal double, periodic double")
+    ids = lambda x: {y.doc_id for y in x.collect()}
+    assert ids(H.copies(t)) == {2, 3, 4}
+    assert ids(H.families(t)) == {20, 21}
+    assert ids(H.literals(t)) == {30, 31}
+
+
+def test_partners_inside_a_bucket(spark):
+    shared = code(30)
+    other = lambda: re.sub("[a-j]{7}", lambda m: word(), shared)
+    files = {1: (1, other()), 9: (9, other()), 4: (4, shared), 5: (5, shared)}
+    docs = spark.createDataFrame([(i, p, "a.py", t, "tarball") for i, (p, t) in files.items()], "doc_id long, repo_id long, path string, text string, source string")
+    assert {x.doc_id for x in H.classes(docs).where("vendored").collect()} == {4, 5}
+
+
 @pytest.fixture(scope="module")
 def spark():
     return SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
