@@ -99,16 +99,18 @@ class References:
         for i, places in at.items():
             ref = self.tokens[i]
             best = None
-            for k in places[:: max(1, len(places) // 8)]:  # windows around some of the hits
-                lo, hi = max(0, k - 2 * len(ref)), k + 2 * len(ref)
-                if best and best[0] <= lo and k + len(ref) <= best[1]:
+            done = 0  # the end of the last window
+            for k in places:  # windows around every hit: one ends a text's length behind the last hit it covers
+                if best and k + len(ref) <= done:
                     continue
+                lo, hi = max(0, k - 2 * len(ref)), k + 2 * len(ref)
+                done = hi
                 m = SequenceMatcher(None, ref, t[lo:hi], autojunk=False)
                 got = sum(b.size for b in m.get_matching_blocks())
                 ops = [(tag, " ".join(ref[a:b]), " ".join(t[lo:hi][c:d])) for tag, a, b, c, d in m.get_opcodes() if tag != "equal" and not (tag == "insert" and a in (0, len(ref)))]
-                if best is None or got > best[2]:
-                    best = (lo, hi, got, ops)
-            out.append((i, best[2] / max(1, len(ref)), best[3]))
+                if best is None or got > best[0]:
+                    best = (got, ops)
+            out.append((i, best[0] / max(1, len(ref)), best[1]))
         return out
 
 
@@ -123,7 +125,7 @@ def declared(lines, refs, whole):
     for m in SENTENCE.finditer(" ".join(lines)):
         out |= expression(m[1] or m[2], refs.ids)
     if whole and not out:
-        for line in lines[:5]:
+        for line in lines:
             title = " ".join(TOKEN.findall(line.lower()))
             if title in refs.titles:
                 out.add(refs.titles[title])

@@ -30,6 +30,20 @@ def test_altered():
     assert 0.8 < coverage < 1 and ("replace", "never", "always") in ops
 
 
+def test_aligned_at_every_place():
+    """The whole text stands between many stray pieces of it, far from those that windows at some of the hits would cover."""
+    body = REFS[0][2]
+    piece = " ".join(body.split()[:3])
+    stray = lambda n: f"{piece} {'filler ' * 80}" * n
+    for before in range(60, 80):
+        got = {i: c for i, c, _ in R.aligned(f"{stray(before)} {body} {'filler ' * 80} {stray(150 - before)}")}
+        assert got["MIT"] == 1
+
+
+def test_title_below_the_first_lines():
+    assert L.of_file("root", "LICENSE", "Copyright of all\nwho\nwrote\nthis\nhere\n\nMIT License\n", R) == {"MIT"}
+
+
 def test_tables(tmp_path):
     spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
     t = datetime.datetime(2024, 1, 1)
