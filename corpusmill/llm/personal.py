@@ -48,6 +48,12 @@ NAMEPAIR = re.compile(rf"(?<![\w@.'’`-])(?=(?P<x>{WORDS})(?P<m>(?:\ [A-Z]\.)*)
 TRAILER = re.compile(r"(?i)(?:[\w-]+-by|authors?|maintainers?|written by|cc|from|contributors?|developers?|reported by|reviewed by)\s*:\s*$")
 TOKEN = re.compile(r"[\w'’-]+|[^\w\s]")
 COMMENT = re.compile(r"\s*(?://|#(?!\s*(?:include|define|if|ifdef|ifndef|endif|pragma)\b)|/\*|\*|--|;|<!--|'''|\"\"\")|.*?\s(?://|#|--)\s")
+OPENS = ("//", "#", "*", "--", ";", '"""', "'''", "{-", "=begin")
+TRAILING = re.compile(r"(?!\s*(?://|#|/\*|\*|--|;|<!--|'''|\"\"\"))")  # the line begins with code
+# Strings of one line, and what begins a comment outside them.
+CODE = re.compile(r"""(?x)(?P<triple>\"{3}|'{3}) | "(?:\\.|[^"\\])*" | '(?:\\.|(?!\s//\s)[^'\\])*' | `[^`]*`
+    | (?P<block>/\*|<!--|\{-(?=[\s|\#-])|\(\*(?=\s)|--\[=*\[) | (?P<line>(?<![:\w/])//|(?<=\s)(?://|\#(?![\w]*["{\[!])|(?:--|;+)(?=\s))|(?<=[,;)])[ \t]*--(?=\S))""")
+CLOSE = {"/*": "*/", "<!--": "-->", "{-": "-}", "(*": "*)"}
 ROUNDS, SUPPORT = 4, 2
 
 
@@ -71,20 +77,59 @@ def context(text, start, end):
     return " ".join((["^"] + [mask(w) for w in a])[-2:]), " ".join(([mask(w) for w in b] + ["$"])[:2])
 
 
+def commented(line, at, inside, text):
+    """(column where comments begin in a line, or None; what closes the block that stays open; whether the block is a string of data). at: the line's offset in text; inside: the open block as (what closes it, data)."""
+    begin, k = None, 0
+    if inside:
+        close, data = inside
+        p = line.find(close)
+        if not data:
+            begin = 0
+        elif COMMENT.match(line) and not line.lstrip().startswith(close):
+            begin = 0
+        if p < 0 or close == "=end" and p > 0:
+            return begin, inside
+        k = p + len(close)
+    elif COMMENT.match(line) and not TRAILING.match(line):
+        begin = 0
+        if re.match(r"\s*(?://|#(?!\[)|;|--(?!\[=*\[))", line):
+            return 0, ("=end", False) if line.startswith("=begin") else None
+    if line.startswith("=begin"):
+        return 0, ("=end", False)
+    while m := CODE.search(line, k):
+        k = m.end()
+        kind, first = m.lastgroup, not line[: m.start()].strip(" \trRuUbBfF")
+        if kind == "line":
+            return (k if m[0].endswith("--") else m.start()) if begin is None else begin, None  # "--x@y" is no address
+        if kind in ("block", "triple"):
+            close = CLOSE.get(m[kind], m[kind]) if not m[kind].startswith("--[") else m[kind][2:].replace("[", "]")
+            data = kind == "triple" and not first
+            p = line.find(close, k)
+            joined = not first and m.start() and re.match(r"[\w./*~$-]", line[m.start() - 1])
+            if p < 0 and (text.find(close, at + k) < 0 and not (first and m[kind] == "/*") or joined and kind == "block"):
+                continue  # a glob or an operator: nothing closes it
+            if not data and begin is None:
+                begin = m.start()
+            if p < 0:
+                return begin, (close, data)
+            k = p + len(close)
+    return begin, None
+
+
 def segments(text, source):
-    """(offset, part) of what is searched: whole texts, and of a source file its stretches of comment lines."""
+    """(offset, part) of what is searched: whole texts, and of a source file its comments, those of successive lines as one."""
     if source != "tarball":
         return [(0, text)]
-    out, inside, at, start = [], False, 0, None
+    out, inside, at, start = [], None, 0, None
     for line in text.split("\n"):
-        if inside or ("//" in line or "#" in line or "*" in line or "--" in line or ";" in line or '"""' in line or "'''" in line) and COMMENT.match(line):
-            if start is None:
-                start = at
-            opened = line.rfind("/*")
-            inside = (inside or opened >= 0) and line.find("*/", max(opened, 0)) < 0
-        elif start is not None:
+        begin = None
+        if inside or any(x in line for x in OPENS):
+            begin, inside = commented(line, at, inside, text)
+        if start is not None and begin != 0:
             out.append((start, text[start:at]))
             start = None
+        if start is None and begin is not None:
+            start = at + begin
         at += len(line) + 1
     if start is not None:
         out.append((start, text[start:]))

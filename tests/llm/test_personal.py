@@ -55,3 +55,13 @@ def test_names_do_not_drift(tmp_path):
 def test_words_of_addresses_are_no_candidates():
     t = "Ship to 12 Orchard Street today, Flat 3, 66 Bramble Gardens.\nAda Zander\n9 Ada Zander Road"
     assert [t[s:e] for k, s, e, *_ in P.scan(t, "issue") if k == "name"] == ["Ada Zander"]
+
+
+@pytest.mark.parametrize("t, want", [
+    ('def f():\n    """Does x.\n\n    By a@zedd.example\n    """\n    y = "b@zedd.example"\n', ["a@zedd.example"]), ("int x; /* kept\n by a@zedd.example */\nchar *s = \"b@zedd.example\";\n", ["a@zedd.example"]), ("f(); /* a@zedd.example */\n", ["a@zedd.example"]),
+    ("<!-- x\na@zedd.example\n-->\n<p>b@zedd.example</p>\n", ["a@zedd.example"]), ("=begin\na@zedd.example\n=end\nx = 'b@zedd.example'\n", ["a@zedd.example"]), ("f();//a@zedd.example\n", ["a@zedd.example"]), ("x = 1 #a@zedd.example\n", ["a@zedd.example"]), ("a int, --a@zedd.example\n", ["a@zedd.example"]),
+    ("x = 'b@zedd.example' # a@zedd.example\n", ["a@zedd.example"]), ('x = """\nb@zedd.example\n"""\ny = "b@zedd.example"\n# a@zedd.example\n', ["a@zedd.example"]), ("ls src/*\nmail b@zedd.example\n# a@zedd.example\n", ["a@zedd.example"]), ("/* open\na@zedd.example\n", ["a@zedd.example"]), ("# see src/*\nmail b@zedd.example\n", []), ("{- x\na@zedd.example -}\n", ["a@zedd.example"]),
+    ("/* a@zedd.example\n * c@zedd.example\n */\nx = 'b@zedd.example'\n", ["a@zedd.example", "c@zedd.example"]), ("u = 'https://zedd.example/b@zedd.example'\n", []),
+])
+def test_whole_comments(t, want):
+    assert [v for _, v in found(t, "tarball")] == want
